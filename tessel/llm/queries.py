@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import bpe, decontaminate
+from tessel.llm import bpe, decontaminate, outliers, shuffle_shards
 from tessel.llm.common import table
 
 
@@ -20,9 +20,23 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", decontaminate.contaminated().alias("contaminated"))
 
 
+def op7_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = outliers.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op8_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    slim = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    dealt = shuffle_shards.shuffle_shards(slim, shards=8)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_decontaminate": op3_decontaminate,
+    "op7_outliers": op7_outliers,
+    "op8_shuffle_shards": op8_shuffle_shards,
 }
 
 #: DuckDB SQL where SQL can express the whole operator and stays fast on whole tables.
