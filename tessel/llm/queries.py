@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import bpe, decontaminate, outliers, shuffle_shards
+from tessel.llm import bpe, decontaminate, outliers, shuffle_shards, substring
 from tessel.llm.common import table
 
 
@@ -32,11 +32,17 @@ def op8_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.dedup_substrings(table(spark, sf_dir, "documents"), with_text=False)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_decontaminate": op3_decontaminate,
     "op7_outliers": op7_outliers,
     "op8_shuffle_shards": op8_shuffle_shards,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 #: DuckDB SQL where SQL can express the whole operator and stays fast on whole tables.
