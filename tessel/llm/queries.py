@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import bpe, decontaminate, outliers, shuffle_shards, substring
+from tessel.llm import bpe, decontaminate, jaccard_join, outliers, shuffle_shards, substring
 from tessel.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", decontaminate.contaminated().alias("contaminated"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op7_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = outliers.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -40,6 +44,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_decontaminate": op3_decontaminate,
+    "op5_jaccard_join": op5_jaccard_join,
     "op7_outliers": op7_outliers,
     "op8_shuffle_shards": op8_shuffle_shards,
     "op10_substring_dedup": op10_substring_dedup,
