@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import bpe, decontaminate, jaccard_join, outliers, shuffle_shards, substring
+from tessel.llm import bpe, byte_cnn, decontaminate, jaccard_join, outliers, shuffle_shards, substring
 from tessel.llm.common import table
 
 
@@ -36,6 +36,11 @@ def op8_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return byte_cnn.classify(docs, byte_cnn.fit(docs, table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.dedup_substrings(table(spark, sf_dir, "documents"), with_text=False)
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -47,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_jaccard_join": op5_jaccard_join,
     "op7_outliers": op7_outliers,
     "op8_shuffle_shards": op8_shuffle_shards,
+    "op9_byte_cnn": op9_byte_cnn,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
