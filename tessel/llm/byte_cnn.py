@@ -26,7 +26,7 @@ from tessel.llm import kernel as K
 from tessel.llm.common import rows_by
 
 CHUNK, WIDTH, FILTERS, VECTOR, LAGS, RUN = 256, 6, 16, 8, 20, 12
-SAMPLE, SAMPLE_CHARS, EPOCHS, BATCH, RATE = 2000, 2048, 10, 64, 0.01
+SAMPLE, SAMPLE_CHARS, EPOCHS, LEAST_STEPS, BATCH, RATE = 2000, 2048, 10, 500, 64, 0.01
 THRESHOLD = 0.3
 
 
@@ -113,7 +113,8 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 5) -> Net:
         data = np.frombuffer(b"".join(texts[i] for i in own), np.uint8)
         flat, first = layout(data, np.concatenate([[0], np.cumsum(sizes[own])]))
         ready.append((flat, first, repeats(flat), labels[own], weight[own]))
-    for epoch in range(EPOCHS):
+    epochs = max(EPOCHS, -(-LEAST_STEPS // len(ready)))
+    for epoch in range(epochs):
         for at in rng.permutation(len(ready)):
             flat, first, again, y, w = ready[at]
             now = Net(*net)
@@ -133,7 +134,7 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 5) -> Net:
                     to_vectors += by_byte[:, None] * now.filters[k, :, f][None, :]
             slopes = [to_vectors, to_filters, (to_top * again[place]).sum(0), to_top.sum(0), (slope[:, None] * hidden).sum(0), np.array([slope.sum()])]
             step += 1
-            rate = RATE * (1 - 0.9 * epoch / EPOCHS)
+            rate = RATE * (1 - 0.9 * epoch / epochs)
             for x, g, m, v in zip(net, slopes, mean, square, strict=True):
                 g = g + 1e-4 * x
                 m += 0.1 * (g - m)
