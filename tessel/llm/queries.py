@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import bpe, byte_cnn, decontaminate, jaccard_join, outliers, shuffle_shards, substring
+from tessel.llm import bpe, byte_cnn, decontaminate, jaccard_join, outliers, shuffle_shards, substring, url_filter
 from tessel.llm.common import table
 
 
@@ -24,6 +24,16 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
+#: Verdict, host, path.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    outcomes = url_filter.matched_outcomes(pages, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return url_filter.judge(pages, outcomes, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op7_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = outliers.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -50,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_decontaminate": op3_decontaminate,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_url_filter": op6_url_filter,
     "op7_outliers": op7_outliers,
     "op8_shuffle_shards": op8_shuffle_shards,
     "op9_byte_cnn": op9_byte_cnn,
