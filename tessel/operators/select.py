@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessel.sources.store import stash
+
 
 def best_of_n(df: DataFrame, keys: Sequence[str], rule: Sequence[Column], seed: str) -> DataFrame:
     """One row of each key: the greatest by the rule's columns in turn, ties to the least seed."""
@@ -29,7 +31,7 @@ def ranked(df: DataFrame, order: Sequence[str], name: str = "rank") -> DataFrame
     The partitions' counts (one number each) go to the driver.
     """
     parts = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = parts.withColumn("_p", F.spark_partition_id())
+    placed = stash(parts.withColumn("_p", F.spark_partition_id()), "placed")  # range bounds are sampled anew in each run
     counts = {r["_p"]: r["count"] for r in placed.groupBy("_p").count().collect()}
     before, pairs = 0, []
     for p in sorted(counts):

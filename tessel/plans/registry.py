@@ -41,3 +41,4 @@ def oracles() -> dict[str, str]:
 
 def _load() -> None:
     """Import the modules that register queries."""
+    from tessel.plans import leakage, sequences  # noqa: F401
