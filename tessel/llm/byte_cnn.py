@@ -40,9 +40,12 @@ class Net(NamedTuple):
 
 
 def layout(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes in whole chunks, zeros behind each row, and the index of each row's first chunk (and one more)."""
+    """Bytes in whole chunks, zeros behind each row, and the index of each row's first chunk (and one more).
+
+    No lag or run reaches over the zeros; ``pool`` leaves out the places from which a filter would.
+    """
     size = np.diff(off)
-    chunks = -(-(size + WIDTH + 2) // CHUNK)
+    chunks = -(-(size + LAGS + RUN) // CHUNK)
     first = np.concatenate([[0], np.cumsum(chunks)])
     flat = np.zeros(first[-1] * CHUNK + WIDTH, np.uint8)
     flat[np.arange(len(data)) + np.repeat(first[:-1] * CHUNK - off[:-1], size)] = data
@@ -51,17 +54,17 @@ def layout(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def repeats(flat: np.ndarray) -> np.ndarray:
     """For each place, 0 to 1: how far over a half of the next RUN bytes equal those a lag earlier, for the best lag."""
+    flat = np.concatenate([np.zeros(LAGS, np.uint8), flat, np.zeros(RUN, np.uint8)])  # the first row is as the others
     n = len(flat)
     best = np.zeros(n, np.int32)
     real = flat != 0
     for lag in range(2, LAGS + 1):
-        if n <= lag + RUN:
-            break
         sums = np.zeros(n - lag + 1, np.int32)
         np.cumsum((flat[lag:] == flat[:-lag]) & real[lag:], out=sums[1:])
         run = sums[RUN:] - sums[:-RUN]
         np.maximum(best[lag : lag + len(run)], run, out=best[lag : lag + len(run)])
-    return np.maximum(best - RUN // 2, 0).astype(np.float32) / (RUN - RUN // 2)
+    best[~real] = 0  # from the zeros before a row, its beginning would show
+    return np.maximum(best[LAGS:-RUN] - RUN // 2, 0).astype(np.float32) / (RUN - RUN // 2)
 
 
 def _tables(net: Net) -> list[np.ndarray]:
@@ -69,11 +72,13 @@ def _tables(net: Net) -> list[np.ndarray]:
     return [((net.vectors @ net.filters[k])[:, None, :] + (net.vectors @ net.filters[k + 1])[None, :, :]).reshape(65536, FILTERS).astype(np.float32) for k in range(0, WIDTH, 2)]
 
 
-def pool(net: Net, tables: list[np.ndarray], flat: np.ndarray, again: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+def pool(net: Net, tables: list[np.ndarray], flat: np.ndarray, first: np.ndarray, again: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
     """Largest answers of each chunk; with ``places`` also where in the chunk they stand."""
     n = (len(flat) - WIDTH) // CHUNK
     top = np.empty((n, FILTERS), np.float32)
     where = np.empty((n, FILTERS), np.int64) if places else None
+    last = np.zeros(n, bool)
+    last[first[1:] - 1] = True
     pair = flat[:-1].astype(np.int32) * 256 + flat[1:]
     for lo in range(0, n, 128):
         hi = min(n, lo + 128)
@@ -82,6 +87,7 @@ def pool(net: Net, tables: list[np.ndarray], flat: np.ndarray, again: np.ndarray
         for k, t in enumerate(tables):
             got += t[pair[a + 2 * k : b + 2 * k]]
         got = got.reshape(hi - lo, CHUNK, FILTERS)
+        got[last[lo:hi], CHUNK - WIDTH + 1 :] = -np.inf  # these would read the next row's bytes
         if places:
             where[lo:hi] = got.argmax(1)
             top[lo:hi] = np.take_along_axis(got, where[lo:hi, None, :], 1)[:, 0]
@@ -93,8 +99,8 @@ def pool(net: Net, tables: list[np.ndarray], flat: np.ndarray, again: np.ndarray
 def score(net: Net, tables: list[np.ndarray], column: pa.Array) -> np.ndarray:
     """Probability of label 1 for each row."""
     flat, first = layout(*K.byte_view(column))
-    top, _ = pool(net, tables, flat, repeats(flat))
-    chunk = np.maximum(top, 0) @ net.out + net.base
+    top, _ = pool(net, tables, flat, first, repeats(flat))
+    chunk = np.maximum(top, 0).astype(np.float64) @ net.out + net.base
     odds = np.add.reduceat(chunk, first[:-1]) / np.diff(first) if len(first) > 1 else np.zeros(0)
     return 1 / (1 + np.exp(-np.clip(odds, -30, 30).astype(np.float64)))
 
@@ -118,7 +124,7 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 5) -> Net:
         for at in rng.permutation(len(ready)):
             flat, first, again, y, w = ready[at]
             now = Net(*net)
-            top, where = pool(now, _tables(now), flat, again, True)
+            top, where = pool(now, _tables(now), flat, first, again, True)
             hidden = np.maximum(top, 0)
             chunks = np.diff(first)
             odds = np.add.reduceat(hidden @ now.out + now.base, first[:-1]) / chunks
@@ -162,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = texts.join(F.broadcast(picked), texts["rid"] == picked["lid"]).select("rid", "label", window.alias("txt"))
     rows = rows.groupBy("rid", "label").agg(F.min("txt").alias("txt")).toPandas().sort_values(["rid", "label"], kind="stable").reset_index(drop=True)
     share = float(rows["label"].mean()) if len(rows) else 0.5
-    if not 0 < share < 1:
+    if not len(rows) or not 0 < share < 1:
         return share
     return train([t.encode() for t in rows["txt"]], rows["label"].to_numpy(np.int64))
 

@@ -312,7 +312,7 @@ def jaccard_join(
     source = rows_by(docs, id_col, text_col).withColumn("tk", text_key())
     rows = stash(_nodes(source, size), "nodes")
     full = rows.where("node is not null")
-    nodes = full.groupBy("node").agg(F.count("*").alias("weight"), F.min(F.struct("rid", "tk")).alias("at"))
+    nodes = full.groupBy("node").agg(F.count("*").alias("weight"), F.min(F.struct("rid", "tk")).alias("at"), F.min("rid").alias("least"))
     nodes = stash(nodes, "weights")
     sigs = stash(full.groupBy("node").agg(F.first("sig").alias("sig")), "sigs")
 
@@ -332,7 +332,7 @@ def jaccard_join(
     tied = components(verified.where("a is not null").select("a", "b"))
     links = verified.where("node is not null").groupBy("node").agg(F.sum("links").alias("links"))
     root = nodes.join(tied, "node", "left").join(links, "node", "left")
-    root = stash(root.select("node", "weight", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"), F.col("at.rid").alias("least")), "roots")
+    root = stash(root.select("node", "weight", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"), "least"), "roots")
     name = root.groupBy("root").agg(F.min("least").alias("class_id"))
     known = root.join(name, "root").select("node", "class_id", (F.col("weight") - 1 + F.col("links")).alias("n_links"))
     out = rows.join(known, "node", "left").select(
