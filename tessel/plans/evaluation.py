@@ -16,12 +16,12 @@ _LONG = """long AS (SELECT 'quantity' AS metric, l_quantity AS value FROM lineit
 o AS (SELECT metric, value, row_number() OVER (PARTITION BY metric ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY metric) AS n FROM long WHERE value IS NOT NULL AND NOT isnan(value))"""
 
 
-@register("metric_summary_index_percentiles", "A1", f"""WITH {_LONG} SELECT metric, any_value(n) AS n, round(avg(value), 6) AS mean, max(CASE WHEN i = n // 2 THEN value END) AS median,
+@register("metric_summary_index_percentiles", "A1", f"""WITH {_LONG} SELECT metric, any_value(n) AS n, round(avg(value), 9) AS mean, max(CASE WHEN i = n // 2 THEN value END) AS median,
 max(CASE WHEN i = CAST(floor(0.05 * (n - 1)) AS BIGINT) THEN value END) AS p05, max(CASE WHEN i = CAST(floor(0.95 * (n - 1)) AS BIGINT) THEN value END) AS p95 FROM o GROUP BY 1""")
 def metric_summary_index_percentiles(spark: SparkSession, d: str) -> DataFrame:
     x = read(spark, d, "lineitem")
     pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(c).alias("value")) for n, c in (("quantity", "l_quantity"), ("price", "l_extendedprice"), ("discount", "l_discount"))])).alias("p")
-    return stats.summary(x.select(pairs).select("p.*")).withColumn("mean", F.round("mean", 6))
+    return stats.summary(x.select(pairs).select("p.*")).withColumn("mean", F.round("mean", 9))
 
 
 @register("validator_percentiles_by_source", "A2 A3 A17", """WITH o AS (SELECT source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents WHERE n_chars IS NOT NULL)

@@ -91,10 +91,10 @@ def approx_users(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.01).alias("users"), F.percentile_approx("value", [0.5, 0.95], 10000).alias("quantiles"))
 
 
-@register("range_frame_average", "[X] RANGE", "SELECT o_orderkey, round(avg(o_totalprice) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey RANGE BETWEEN 50 PRECEDING AND 50 FOLLOWING), 1) AS near_avg FROM orders")
+@register("range_frame_average", "[X] RANGE", "SELECT o_orderkey, count(*) OVER w AS near, CAST(round(100 * sum(o_totalprice) OVER w, 0) AS BIGINT) AS near_cents FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_orderkey RANGE BETWEEN 50 PRECEDING AND 50 FOLLOWING)")
 def range_frame_average(spark: SparkSession, d: str) -> DataFrame:
     w = W.partitionBy("o_orderstatus").orderBy("o_orderkey").rangeBetween(-50, 50)
-    return read(spark, d, "orders").select("o_orderkey", F.round(F.avg("o_totalprice").over(w), 1).alias("near_avg"))
+    return read(spark, d, "orders").select("o_orderkey", F.count("*").over(w).alias("near"), F.round(100 * F.sum("o_totalprice").over(w), 0).cast("long").alias("near_cents"))
 
 
 @register("ranking_functions", "[X] ntile percent_rank cume_dist nth_value", """SELECT s_suppkey, ntile(4) OVER w AS quarter, round(percent_rank() OVER w, 6) AS pr, round(cume_dist() OVER w, 6) AS cd, rank() OVER w AS rk,
