@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessel.llm import bpe, byte_cnn, decontaminate, html_extract, jaccard_join, outliers, shuffle_shards, substring, token_counts, url_filter
 from tessel.llm.common import table
+from tessel.llm.url_sql import url_sql
 
 
 def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,4 +79,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL where SQL can express the whole operator and stays fast on whole tables.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_url_filter": url_sql(URL_RULES)}
