@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import zipfile
@@ -41,6 +42,7 @@ def ship(spark: SparkSession) -> None:
     top = os.path.dirname(here)
     fd, path = tempfile.mkstemp(prefix="tessel-", suffix=".zip")
     os.close(fd)
+    atexit.register(lambda: os.path.exists(path) and os.remove(path))
     with zipfile.ZipFile(path, "w") as z:
         for folder, _, names in os.walk(here):
             for name in sorted(names):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -17,7 +19,9 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("spark.checkpoint.dir is unset: executors and driver need a folder that they share")
     own = getattr(spark.sparkContext, "_tessel_dir", None)
     if own is None:
-        own = "file://" + tempfile.mkdtemp(prefix="tessel-shared-")
+        folder = tempfile.mkdtemp(prefix="tessel-shared-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        own = f"file://{folder}"
         spark.sparkContext._tessel_dir = own
     return own
 
