@@ -82,6 +82,7 @@ def _lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Arr
 
 
 def _segments(source: DataFrame, window: int, k: int) -> DataFrame:
+    """For each row: rid, tk, and of each different segment in it the key, digest, places and number of windows."""
     kind = source.schema["rid"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,13 +91,22 @@ def _segments(source: DataFrame, window: int, k: int) -> DataFrame:
                 part = batch.slice(lo, hi - lo)
                 ids, woff, _, _ = _ids(part.column(1))
                 row, key, digest, first, count = cut(ids, woff, window, k, 0)
-                off = np.searchsorted(row, np.arange(hi - lo + 1))
+                order = np.lexsort((first, digest, key, row))
+                row, key, digest, first, count = (x[order] for x in (row, key, digest, first, count))
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])
+                at = np.flatnonzero(new)
+                off = np.searchsorted(row[at], np.arange(hi - lo + 1))
+                places = _lists(first, np.append(at, len(first)), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), _lists(key.view(np.int64), off, pa.int64()), _lists(digest.view(np.int64), off, pa.int64()), _lists(first, off, pa.int32()), _lists(count, off, pa.int32())],
-                    ["rid", "tk", "key", "dg", "s", "c"],
-                )
+                    [
+                        part.column(0), part.column(2), _lists(key[at].view(np.int64), off, pa.int64()), _lists(digest[at].view(np.int64), off, pa.int64()),
+                        pa.ListArray.from_arrays(pa.array(off, pa.int32()), places), _lists(count[at], off, pa.int32()),
+                    ],
+                    ["rid", "tk", "key", "dg", "ss", "c"],
+                )
 
-    return source.mapInArrow(work, f"rid {kind}, tk long, key array<long>, dg array<long>, s array<int>, c array<int>")
+    return source.mapInArrow(work, f"rid {kind}, tk long, key array<long>, dg array<long>, ss array<array<int>>, c array<int>")
 
 
 def _contents(texts: DataFrame, window: int) -> DataFrame:
@@ -208,21 +218,24 @@ def dedup_substrings(
     source = rows_by(docs, id_col, text_col).withColumn("tk", text_key())
     kind = source.schema["rid"].dataType.simpleString()
     cuts = stash(_segments(source, window, k).withColumn("no", F.monotonically_increasing_id()), "cuts")
-    seg = cuts.select("no", F.explode(F.arrays_zip("key", "dg", "s", "c")).alias("g")).select("no", "g.*")
-    live = seg.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= need).select("key")
+    seg = cuts.select("no", F.explode(F.arrays_zip("key", "dg", "ss", "c")).alias("g")).select("no", "g.*")
+    # Written first, so the join reads two plain exchanges and the planner can split a key that many rows share.
+    live = stash(seg.groupBy("key").agg(F.sum(F.size("ss")).alias("n")).where(F.col("n") >= need).select("key"), "live")
     places = stash(seg.join(live, "key"), "places")
-    once = places.groupBy("key", "dg").agg(F.count("*").alias("w"), F.min(F.struct("no", "s", "c")).alias("at"))
+    once = places.groupBy("key", "dg").agg(F.sum(F.size("ss")).alias("w"), F.min(F.struct("no", F.col("ss")[0].alias("s"), "c")).alias("at"))
     wanted = once.groupBy(F.col("at.no").alias("no")).agg(F.collect_list(F.struct("key", "dg", "w", "at.s", "at.c")).alias("segs"))
     names = cuts.select("no", F.col("rid").alias("nid"), F.col("tk").alias("ntk"))
     wanted = wanted.join(names, "no").select("nid", "ntk", "segs")
     texts = source.join(wanted, source["rid"].eqNullSafe(wanted["nid"]) & (source["tk"] == wanted["ntk"])).select("txt", "segs")
     segments = stash(_contents(texts, window), "segments")
     found = _resolve(segments, window, k, need, shard_words, hot)
-    hit = places.join(found, ["key", "dg"]).select("no", F.explode("hits").alias("h"), "s")
-    span = F.struct((F.col("s") + F.col("h.a")).alias("start"), (F.col("s") + F.col("h.b") + (window - 1)).alias("stop"))
-    spans = hit.groupBy("no").agg(F.collect_list(span).alias("spans"))
+    found = stash(found, "found")
+    # Places and ranges are combined inside a row, so a text that repeats one stretch makes no more rows.
+    span = lambda at, h: F.struct((at + h["a"]).alias("start"), (at + h["b"] + (window - 1)).alias("stop"))
+    each = F.flatten(F.transform("ss", lambda at: F.transform("hits", lambda h: span(at, h))))
+    spans = places.join(found, ["key", "dg"]).select("no", each.alias("part")).groupBy("no").agg(F.flatten(F.collect_list("part")).alias("spans"))
     spans = stash(spans.join(names, "no").select("nid", "ntk", "spans").dropDuplicates(["nid", "ntk"]), "spans")
-    discard(segments, places, cuts)
+    discard(segments, places, cuts, live, found)
     joined = source.join(spans, source["rid"].eqNullSafe(spans["nid"]) & (source["tk"] == spans["ntk"]), "left").select("rid", "txt", "spans")
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
