@@ -23,10 +23,12 @@ from pyspark.sql import functions as F
 from tessel.sources.store import stash
 
 SHARE, STEPS, LEAST = 0.75, 4, 200
-#: Least standard deviation of each statistic: below it, differences are of no account (many texts have none at all).
-FLOOR = {"x0": 0.03, "x1": 0.03, "x2": 0.2, "x3": 0.2}
-#: Squared distance beyond which a row is rejected: that of a normal row exceeds it once in 2e10.
-CUTOFF = 56.0
+#: Least standard deviation of each statistic: below it, differences are of no account (many texts have none at all). Among
+#: rows that pass the base rules x2**2 reaches 1 and x3**2 0.5, so FLOOR**2 * CUTOFF must stay below these, or a statistic
+#: could reject nothing by itself.
+FLOOR = {"x0": 0.03, "x1": 0.03, "x2": 0.15, "x3": 0.15}
+#: Squared distance beyond which a row is rejected: the 0.999 quantile of chi-square with four degrees of freedom.
+CUTOFF = 18.467
 #: Bins for each unit of a statistic, and for each unit of a distance's logarithm.
 BINS, LOG_BINS = 500, 200
 DIMS = list(FLOOR)

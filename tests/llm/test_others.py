@@ -125,6 +125,19 @@ def test_junk_is_rejected_and_prose_kept(spark):
     assert all(v for k, v in got.items() if k < 1000) and not any(v for k, v in got.items() if k >= 1000)
 
 
+def test_each_kind_of_repetition_is_rejected_alone(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 7)))
+    words = lambda n: " ".join(word() for _ in range(n))
+    rows = [(i, "\n".join(words(10) for _ in range(rng.randint(6, 30)))) for i in range(600)]
+    rows += [(1000 + i, "\n".join(f"{words(4)}\nthe\nof" for _ in range(20))) for i in range(3)]
+    rows += [(2000 + i, f"{words(26)} {p} {words(26)} {p}") for i, p in enumerate(words(24) for _ in range(3))]
+    got = {r.doc_id: r for r in outliers.judge(spark.createDataFrame([(*r, "en", "s") for r in rows], "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[1000 + i].n_repeat_words == 0 and got[1000 + i].n_dup_lines == 38 for i in range(3))
+    assert all(got[2000 + i].n_repeat_words == 48 and got[2000 + i].n_dup_lines == 0 for i in range(3))
+    assert not any(r.base_failed for r in got.values()) and {k for k, r in got.items() if not r.kept} == {k for k in got if k >= 1000}
+
+
 def test_consistency_factor():
     rng = np.random.default_rng(0)
     d = np.sort((rng.normal(size=(200_000, 4)) ** 2).sum(1))
