@@ -115,6 +115,17 @@ def test_frequent_shingles_count_in_the_size_only(spark):
     assert rows(dedup.best_match(held, other, "h", "o", max_df=5)) == [("h", "o1", 3, 4, 0.75)]
 
 
+def test_groups_of_many_copies_lose_no_pair(spark):
+    rows = [(i, s) for i in range(25) for s in range(10)]  # equal sets
+    rows += [(100 + i, s) for i in range(30) for s in [*range(1000, 1020), 2000 + i]]  # near copies
+    rows += [(200 + i, s) for i in range(150) for s in [7, 8, 9, *range(5000 + 10 * i, 5007 + 10 * i)]]  # a shared passage, too short
+    sh = spark.createDataFrame(rows, "id long, shingle long")
+    got = {tuple(r) for r in dedup.containment_classes(sh, "id", 0.5).collect()}
+    want = {("equal", 0, i, 10, 1.0) for i in range(1, 25)} | {("near", 100 + i, 100 + j, 20, 20 / 21) for i in range(30) for j in range(i + 1, 30)}
+    assert got == want
+    assert dedup.containment_pairs(sh, "id", 20, 0.5).count() == 0  # what the cut loses
+
+
 def test_rules(spark):
     x = spark.createDataFrame([(1, 5), (2, None), (3, 50)], "i int, v int")
     named = {"small": F.col("v") < 10, "odd": F.col("v") % 2 == 1}
