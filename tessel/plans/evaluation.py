@@ -127,6 +127,14 @@ def paired_bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     return got.select("n", F.round("mean", 6).alias("mean"), F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), ((F.col("lo") > 0) | (F.col("hi") < 0)).alias("star"))
 
 
+@register("paired_bootstrap_ci_2000", "A23 A24", f"""WITH {_BOOT.replace("range(0, 200)", "range(0, 2000)")} SELECT (SELECT count(*) FROM v) AS n, round((SELECT avg(v) FROM v), 6) AS mean, round(max(CASE WHEN i = 50 THEN m END), 6) AS lo, round(max(CASE WHEN i = 1950 THEN m END), 6) AS hi,
+max(CASE WHEN i = 50 THEN m END) > 0 OR max(CASE WHEN i = 1950 THEN m END) < 0 AS star FROM o""")
+def paired_bootstrap_ci_2000(spark: SparkSession, d: str) -> DataFrame:
+    x = _paired(spark, d).where("a is not null and b is not null").select(F.lit("all").alias("g"), "user_id", (F.col("b") - F.col("a")).alias("v"))
+    got = stats.bootstrap(x, ["g"], "v", ["user_id"], 2000)
+    return got.select("n", F.round("mean", 6).alias("mean"), F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), ((F.col("lo") > 0) | (F.col("hi") < 0)).alias("star"))
+
+
 @register("failure_as_zero_means", "A25", """WITH x AS (SELECT user_id, avg(CASE WHEN event_type = 'purchase' THEN value END) AS rate, avg(CASE WHEN event_type = 'signup' THEN value END) AS other FROM events GROUP BY 1)
 SELECT round(avg(coalesce(rate, 0)), 6) AS rate, round(avg(other), 6) AS other, count(rate) AS parsed FROM x""")
 def failure_as_zero_means(spark: SparkSession, d: str) -> DataFrame:
