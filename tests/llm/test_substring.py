@@ -3,6 +3,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessel.llm import substring as S
@@ -63,9 +64,9 @@ def test_frequent_windows_equal_counts():
             assert got.tolist() == [count[tuple(r[i : i + window])] > 1 for i in range(len(r) - window + 1)]
 
 
-@pytest.mark.parametrize(("window", "hot"), [(35, S.HOT), (12, 2)])
-def test_equals_brute_force(spark, docs, rows, nothing, window, hot):
-    got = S.dedup_substrings(docs, window=window, k=4, hot=hot, shard_words=3000).collect()
+@pytest.mark.parametrize(("window", "hot", "levels"), [(35, S.HOT, S.LEVELS), (12, 2, S.LEVELS), (12, 2, 0), (12, 2, 1)])
+def test_equals_brute_force(spark, docs, rows, nothing, window, hot, levels):
+    got = S.dedup_substrings(docs, window=window, k=4, hot=hot, levels=levels, shard_words=3000).collect()
     assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute([(r[0], r[1]) for r in rows], window)
     assert all(r.n_removed == sum(s.stop - s.start for s in r.spans) for r in got)
     assert S.dedup_substrings(nothing, window=window).count() == 0
@@ -77,3 +78,29 @@ def test_a_passage_before_many_texts(spark):
     rows = [(i, shared + " " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))) for i in range(60)]
     got = S.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), hot=5).collect()
     assert all(r.n_removed == 0 for r in got)
+
+
+def test_words_whose_short_hashes_collide_stay_apart(spark):
+    """``w537126`` and ``w970173`` agree in the low 32 bits of their hashes."""
+    words = [f"c{i}" for i in range(50)]
+    rows = [(i, " ".join([*words[:25], middle, *words[25:]])) for i, middle in enumerate(["w537126", "w970173"])]
+    got = S.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.n_removed for r in got] == [0, 0]
+
+
+def test_words_with_equal_hashes_are_told_apart():
+    """Numbers and digests come from the words' bytes, never from their hashes."""
+    words = S.Words(pa.array(["a b", "a c a", None, "", "b\t\n a"]))
+    runs = words.runs(words.woff[:-1][[0, 1, 4]], words.woff[1:][[0, 1, 4]])
+    assert runs == [b"a b", b"a c a", b"b a"] and len({tuple(x) for x in S.digests(runs)}) == 3
+    a, b, c = S.numbers(pa.array(runs, pa.binary()))
+    assert a[0] == b[0] == b[2] == c[1] and a[1] == c[0] and len({a[0], a[1], b[1]}) == 3
+
+
+def test_very_long_texts(spark):
+    """Texts of some 100,000 words: one stands twice in part, one repeats itself all through."""
+    rng = random.Random(8)
+    long = [f"v{rng.randrange(10**7)}" for _ in range(100_000)]
+    rows = [(1, " ".join(long)), (2, " ".join([*long[50_000:60_000], "end"])), (3, "x y " * 40_000), (4, " ".join(f"u{i}" for i in range(30_000)))]
+    got = S.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute(rows, 35)
