@@ -9,6 +9,10 @@ There are no labels for pages, so the net is trained here on pages that ``synthe
 headers, footers, sidebars, notices, adverts, forms and reader comments around articles, whose blocks are known. Training
 is seeded, takes some seconds and is done once for each driver.
 
+Labelling keeps no tape: a direction holds one state for each page of a batch and one number for each block, batches are
+bounded by blocks and by bytes of html, and a page of more blocks than a batch is read whole, in pieces that hand on the
+state.
+
 Defined cases: a null or empty page, or one without main blocks, has an empty text; equal rows get equal results; other
 columns are not looked at; very long pages are labelled whole.
 """
@@ -30,6 +34,8 @@ from tessel.llm.html_blocks import Block, blocks
 
 PATHS, WORDS, PATH_VECTOR, WORD_VECTOR, NUMBERS, HIDDEN = 1024, 512, 24, 4, 5, 24
 PAGES, EPOCHS, BATCH, RATE = 480, 6, 16, 0.01
+#: Blocks of all pages of a labelling batch, padding included.
+BLOCKS = 1 << 14
 INPUT = PATH_VECTOR + WORD_VECTOR + NUMBERS
 
 
@@ -41,10 +47,12 @@ def path_parts(path: tuple[str, ...]) -> list[int]:
 
 
 class Page:
-    """A page's blocks as arrays: path parts, words, numbers."""
+    """A page's blocks as arrays: parts of the different paths, each block's path, words, numbers."""
 
     def __init__(self, found: list[Block]) -> None:
-        parts = [path_parts(b.path) for b in found]
+        number: dict[tuple[str, ...], int] = {}
+        self.which = np.array([number.setdefault(b.path, len(number)) for b in found], np.int64)
+        parts = [path_parts(p) for p in number]
         self.part = np.array([x for p in parts for x in p], np.int64)
         self.part_of = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
         data, off = K.byte_view(pa.array([b.text for b in found], pa.string()))
@@ -58,9 +66,10 @@ class Page:
 
     def vectors(self, net: dict[str, np.ndarray]) -> np.ndarray:
         path = np.add.reduceat(net["path"][self.part], self.part_of[:-1]) / np.diff(self.part_of)[:, None]
-        sums = np.concatenate([np.zeros((1, WORD_VECTOR)), np.cumsum(net["word"][self.word], 0)])
-        count = np.maximum(np.diff(self.word_of), 1)[:, None]
-        return np.concatenate([path, (sums[self.word_of[1:]] - sums[self.word_of[:-1]]) / count, self.numbers], 1)
+        count = np.diff(self.word_of)
+        block = np.repeat(np.arange(len(count)), count)
+        words = [np.bincount(block, net["word"][self.word, d], len(count)) / np.maximum(count, 1) for d in range(WORD_VECTOR)]
+        return np.concatenate([path[self.which], np.stack(words, 1), self.numbers], 1)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -122,17 +131,47 @@ def _both_ways(x: np.ndarray, mask: np.ndarray, net: dict[str, np.ndarray]) -> t
     return np.concatenate([ahead, behind[::-1]], 2), tape, tape2
 
 
+def _read(x: np.ndarray, w: np.ndarray, b: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """What the states of one direction add to each block's log-odds: (steps, rows) for inputs (steps, rows, INPUT)."""
+    steps, rows, _ = x.shape
+    h, c = np.zeros((rows, HIDDEN), np.float32), np.zeros((rows, HIDDEN), np.float32)
+    odds, of_state, piece = np.empty((steps, rows), np.float32), np.ascontiguousarray(w[INPUT:]), max(1, BLOCKS // rows)
+    for lo in range(0, steps, piece):
+        z = x[lo : lo + piece] @ w[:INPUT] + b
+        for t in range(len(z)):
+            now = z[t] + h @ of_state
+            gates = _sigmoid(now[:, : 3 * HIDDEN])
+            c = gates[:, HIDDEN : 2 * HIDDEN] * c + gates[:, :HIDDEN] * np.tanh(now[:, 3 * HIDDEN :])
+            h = gates[:, 2 * HIDDEN :] * np.tanh(c)
+            odds[lo + t] = h @ out
+    return odds
+
+
 def label(pages: list[Page], net: dict[str, np.ndarray]) -> list[np.ndarray]:
-    """For each block, the probability of main text. Pages of like lengths are read together."""
+    """For each block, the probability of main text. Pages of like lengths are read together.
+
+    Padding stands behind a page's blocks in both directions, so no state that counts has seen it.
+    """
     out: list[np.ndarray] = [np.zeros(0)] * len(pages)
-    order = sorted((i for i, p in enumerate(pages) if len(p.numbers)), key=lambda i: len(pages[i].numbers))
-    for lo in range(0, len(order), 64):
-        own = order[lo : lo + 64]
-        x, mask, each = _padded([pages[i] for i in own], net)
-        states, _, _ = _both_ways(x, mask, net)
-        p = _sigmoid(states @ net["out"] + net["base"])
+    slim = {k: v.astype(np.float32) for k, v in net.items()}
+    order = sorted((i for i, p in enumerate(pages) if len(p.numbers)), key=lambda i: len(pages[i].numbers), reverse=True)
+    while order:
+        steps = len(pages[order[0]].numbers)
+        own, order = order[: max(1, BLOCKS // steps)], order[max(1, BLOCKS // steps) :]
+        size = [len(pages[i].numbers) for i in own]
+        odds = 0.0
+        for way, (w, b, half) in {1: ("w1", "b1", slice(0, HIDDEN)), -1: ("w2", "b2", slice(HIDDEN, None))}.items():
+            x = np.zeros((steps, len(own), INPUT), np.float32)
+            for r, i in enumerate(own):
+                x[: size[r], r] = pages[i].vectors(net)[::way]
+            got = _read(x, slim[w], slim[b], slim["out"][half])
+            if way < 0:
+                for r, n in enumerate(size):
+                    got[:n, r] = got[:n, r][::-1]
+            odds = odds + got
+        p = _sigmoid(odds + slim["base"])
         for r, i in enumerate(own):
-            out[i] = p[: len(each[r]), r]
+            out[i] = p[: size[r], r]
     return out
 
 
@@ -286,7 +325,9 @@ def trained(seed: int = 17, pages: int = PAGES) -> dict[str, np.ndarray]:
             for r, (p, marks) in enumerate(batch):
                 own = to_x[: len(marks), r]
                 per = np.diff(p.part_of)
-                np.add.at(grads["path"], p.part, np.repeat(own[:, :PATH_VECTOR] / per[:, None], per, 0))
+                by_path = np.zeros((len(per), PATH_VECTOR))
+                np.add.at(by_path, p.which, own[:, :PATH_VECTOR])
+                np.add.at(grads["path"], p.part, np.repeat(by_path / per[:, None], per, 0))
                 per = np.diff(p.word_of)
                 np.add.at(grads["word"], p.word, np.repeat(own[:, PATH_VECTOR : PATH_VECTOR + WORD_VECTOR] / np.maximum(per, 1)[:, None], per, 0))
             step += 1
@@ -308,8 +349,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", k
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for lo, hi in K.pieces(batch.column(1)):
+                part = batch.slice(lo, hi - lo)
                 found = [blocks(x.as_py() or "") for x in part.column(1)]
                 good = label([Page(b) for b in found], net)
                 texts = ["\n".join(b.text for b, p in zip(own, ps.tolist(), strict=True) if p >= 0.5) for own, ps in zip(found, good, strict=True)]
