@@ -6,8 +6,9 @@ re-splits a growing window, from the left part's last finds that may have seen i
 the right part's own ends. All finds outside the window then provably stand.
 
 Merging. Each find is encoded on its own. A token list is the encoding of its bytes exactly if each two neighbours are the
-encoding of theirs, so the halves of a long find are joined by re-encoding a growing window of boundary tokens until the
-pairs at the window's edges stand. Short finds are remembered in a bounded table.
+encoding of theirs, so halves of a find are joined by re-encoding a growing window of boundary tokens until the pairs at the
+window's edges stand. Leaves of ``PIECE`` bytes and the windows are merged here, by least rank; ``LEAF`` and ``PIECE`` change
+how high the tree is and nothing else. Short finds are remembered in a bounded table.
 
 Decoding concatenates the tokens' bytes up the same tree. A null text counts as empty: no tokens, no bytes.
 """
@@ -16,28 +17,19 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 import regex
-import tiktoken
 from pyspark.sql import DataFrame
 
 from tessel.llm.common import rows_by
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+NONE = 1 << 60
 #: Characters of a leaf's text, bytes of a leaf of one find, finds that a worker remembers, bytes of a remembered find.
-LEAF, PIECE, MEMORY, SHORT = 4096, 96, 1 << 19, 64
-
-
-#: The standard library's engine is faster and has no script classes. Below U+0250 its own classes say the same as the
-#: pattern's, but for these characters; a leaf without them may be split by it if the pattern is the known one.
-PLAIN_OF = {
-    r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""": r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"""
-}
-ODD = re.compile("[\xb2\xb3\xb9\xbc-\xbe\x1c-\x1f]|[^\x00-\u024f]")
+LEAF, PIECE, MEMORY, SHORT = 512, 8, 1 << 19, 64
 
 
 class Coder:
@@ -47,35 +39,57 @@ class Coder:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bytes_of = {v: k for k, v in self.ranks.items()}
-        self.base = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})._encode_single_piece
         self.split = regex.compile(pattern)
         self.leaf, self.piece = leaf, piece
-        self.plain = re.compile(PLAIN_OF[pattern]) if pattern in PLAIN_OF else None
         self.known: dict[str, bytes] = {}
-        self.pair = lru_cache(1 << 16)(lambda a, b: self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b])
-
-    def merge(self, piece: bytes) -> list[int]:
-        """Encode a short run of bytes at once: the leaves and the boundary windows of the tree."""
-        return self.base(piece)
+        self.byte = [self.ranks[bytes([x])] for x in range(256)]
+        #: Which token two tokens make.
+        self.joined = {(self.ranks[t[:i]], self.ranks[t[i:]]): rank for t, rank in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks}
+        self.window = lru_cache(1 << 17)(lambda a, b: self.again([a, b]))  # the least windows come again and again
+
+    def merge(self, ids: list[int]) -> list[int]:
+        """Encode a short run, given as ids of its bytes: the neighbours of least rank become one, leftmost first, until none has a rank."""
+        joined = self.joined.get
+        ranks = [joined(x, NONE) for x in zip(ids, ids[1:])]
+        while ranks and (least := min(ranks)) != NONE:
+            i = ranks.index(least)
+            ids[i : i + 2] = [least]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = joined((ids[i - 1], least), NONE)
+            if i < len(ranks):
+                ranks[i] = joined((least, ids[i + 1]), NONE)
+        return ids
+
+    def again(self, tokens: list[int]) -> list[int]:
+        """Encode the bytes of a window of tokens anew."""
+        return self.merge([self.byte[x] for t in tokens for x in self.bytes_of[t]])
 
     def join_tokens(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of the bytes of both: only a boundary window changes."""
-        if not left or not right or self.pair(left[-1], right[0]):
+        if not left or not right:
+            return left + right
+        middle = self.window(left[-1], right[0])
+        if middle[0] == left[-1] and len(middle) == 2:
             return left + right
         a = b = 1
         while True:
-            a, b = min(a, len(left)), min(b, len(right))
-            middle = self.merge(b"".join(map(self.bytes_of.__getitem__, left[len(left) - a :] + right[:b])))
-            good = a == len(left) or self.pair(left[len(left) - a - 1], middle[0])
-            fine = b == len(right) or self.pair(middle[-1], right[b])
+            good = a == len(left) or self.stands(left[len(left) - a - 1], middle[0])
+            fine = b == len(right) or self.stands(middle[-1], right[b])
             if good and fine:
                 return left[: len(left) - a] + middle + right[b:]
-            a, b = a * (1 if good else 2), b * (1 if fine else 2)
+            a, b = min(a * (1 if good else 2), len(left)), min(b * (1 if fine else 2), len(right))
+            middle = self.again(left[len(left) - a :] + right[:b])
+
+    def stands(self, a: int, b: int) -> bool:
+        """Whether two tokens are the encoding of their bytes."""
+        got = self.window(a, b)
+        return len(got) == 2 and got[0] == a
 
     def tokens(self, piece: bytes) -> list[int]:
         """The encoding of one find: halves, joined."""
         if len(piece) <= self.piece:
-            return self.merge(piece)
+            return self.merge([self.byte[x] for x in piece])
         half = len(piece) // 2
         return self.join_tokens(self.tokens(piece[:half]), self.tokens(piece[half:]))
 
@@ -108,7 +122,7 @@ class Coder:
 
     def finds(self, text: str) -> list[str]:
         if len(text) <= self.leaf:
-            return (self.split if self.plain is None or ODD.search(text) else self.plain).findall(text)
+            return self.split.findall(text)
         half = len(text) // 2
         return self.join_finds(self.finds(text[:half]), self.finds(text[half:]))
 
