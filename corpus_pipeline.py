@@ -4,6 +4,9 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kep
 of ``docs``. Stages call one operator each and join its decisions back on the id and the text, so a row that stands twice is
 decided on once and stays twice.
 
+Columns of ``docs`` beyond ``doc_id`` and ``text`` may have any names, a stage's own ones included, and come back as they are
+(``n_chars`` is counted anew where a text is cut).
+
 Decisions: rows whose quality score is below the classifier's threshold go; of each class of near copies the row with the
 class's id stays (one of equal rows); repeated passages are cut out of texts, whose ``n_chars`` is counted anew, and a text
 that nothing is left of stays as an empty one; contaminated rows go. The last stage gives each row's token count and
@@ -12,8 +15,7 @@ digests.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.llm import bpe, byte_cnn, decontaminate, jaccard_join, substring
@@ -22,65 +24,77 @@ from tessel.session import ship
 from tessel.sources.store import stash
 
 
-def _with_key(docs: DataFrame) -> DataFrame:
-    """``docs`` with a key for its rows; other columns keep their names, whatever they are."""
-    return docs.withColumn("_row_key", F.xxhash64("text"))
+def _packed(docs: DataFrame) -> DataFrame:
+    """(rid, tk, row): id and a hash of the text, which tell rows apart, and the whole row in one column.
+
+    So no column of ``docs``, whatever its name, meets a column of a stage.
+    """
+    whole = F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns])
+    return docs.select(docs["doc_id"].alias("rid"), F.xxhash64(docs["text"]).alias("tk"), whole.alias("row"))
+
+
+def _unpacked(rows: DataFrame, names: list[str], new: dict[str, Column] | None = None) -> DataFrame:
+    """The columns of ``row``, some of them replaced."""
+    return rows.select(*[(new or {}).get(c, F.col("row").getField(c)).alias(c) for c in names])
 
 
 def _identified(docs: DataFrame) -> DataFrame:
     """Ids that tell rows apart even if they share a ``doc_id`` (unless they are equal), and texts."""
-    return docs.select(F.struct("doc_id", F.xxhash64("text").alias("tk")).alias("id"), "text")
+    return docs.select(F.struct(docs["doc_id"].alias("doc_id"), F.xxhash64(docs["text"]).alias("tk")).alias("id"), docs["text"].alias("text"))
 
 
-def _keep(docs: DataFrame, decided: DataFrame, condition) -> DataFrame:
-    """Rows of ``docs`` whose (id, text) are among ``decided`` (rid, tk) where the condition holds."""
-    good = decided.where(condition).select(F.col("rid").alias("_rid"), F.col("tk").alias("_tk")).distinct()
-    keyed = _with_key(docs)
-    return keyed.join(good, keyed["doc_id"].eqNullSafe(good["_rid"]) & (keyed["_row_key"] == good["_tk"]), "left_semi").drop("_row_key")
+def _keep(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """(rid, tk, row) of ``docs`` whose ``id`` stands in ``decided``."""
+    good = decided.select(F.col("id.doc_id").alias("gid"), F.col("id.tk").alias("gtk")).distinct()
+    rows = _packed(docs)
+    return rows.join(good, rows["rid"].eqNullSafe(good["gid"]) & (rows["tk"] == good["gtk"]), "left_semi")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the byte-level network does not reject. Scores depend on the text alone, so equal texts share them."""
     net = byte_cnn.fit(docs, table(spark, sf_dir, "labels"))
-    scored = byte_cnn.classify(_identified(docs), net, id_col="id").select("id.doc_id", "id.tk", "predicted")
-    return _keep(docs, scored.select(F.col("doc_id").alias("rid"), "tk", "predicted"), F.col("predicted") == 1)
+    scored = byte_cnn.classify(_identified(docs), net, id_col="id")
+    return _unpacked(_keep(docs, scored.where("predicted = 1")), docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of near copies: the one with the class's id, and one of rows that are equal in id and text."""
+    """One row of each class of near copies: the one with the class's id, and one of rows that are equal in id and text.
+
+    Of the latter it is the one whose other columns come first as JSON. They are pre-aggregated, so many of them are no hot spot.
+    """
     ship(spark)
-    names = docs.columns
     joined = jaccard_join.jaccard_join(_identified(docs), id_col="id")
-    kept = _keep(docs, joined.select(F.col("id.doc_id").alias("rid"), F.col("id.tk").alias("tk"), "id", "class_id"), F.col("id").eqNullSafe(F.col("class_id")))
-    one = W.partitionBy("doc_id", "_row_key").orderBy(F.lit(0))
-    return _with_key(kept).withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*names)
+    kept = _keep(docs, joined.where(F.col("id").eqNullSafe(F.col("class_id"))))
+    rest = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.to_json(F.struct(*rest)) if rest else F.lit("")
+    return _unpacked(kept.groupBy("rid", "tk").agg(F.min_by("row", order).alias("row")), docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that stand elsewhere too; texts that have none stay as they are, byte for byte."""
     ship(spark)
-    names = docs.columns
-    cut = substring.dedup_substrings(_identified(docs), id_col="id").where("n_removed > 0").select(F.col("id.doc_id").alias("_rid"), F.col("id.tk").alias("_tk"), F.col("kept_text").alias("_kept")).dropDuplicates(["_rid", "_tk"])
-    rows = _with_key(docs)
-    joined = rows.join(cut, rows["doc_id"].eqNullSafe(cut["_rid"]) & (rows["_row_key"] == cut["_tk"]), "left")
-    changed = F.col("_kept").isNotNull()
-    new = {"text": F.when(changed, F.col("_kept")).otherwise(F.col("text"))}
-    if "n_chars" in names:
+    cut = substring.dedup_substrings(_identified(docs), id_col="id").where("n_removed > 0")
+    cut = cut.select(F.col("id.doc_id").alias("gid"), F.col("id.tk").alias("gtk"), "kept_text").dropDuplicates(["gid", "gtk"])
+    rows = _packed(docs)
+    joined = rows.join(cut, rows["rid"].eqNullSafe(cut["gid"]) & (rows["tk"] == cut["gtk"]), "left")
+    changed = F.col("kept_text").isNotNull()
+    new = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("row.text"))}
+    if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        new["n_chars"] = F.when(changed, F.length("_kept").cast(kind)).otherwise(F.col("n_chars"))
-    return joined.select(*[new.get(c, F.col(c)).alias(c) for c in names])
+        new["n_chars"] = F.when(changed, F.length("kept_text").cast(kind)).otherwise(F.col("row.n_chars"))
+    return _unpacked(joined, docs.columns, new)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that are not contaminated by the benchmark."""
-    found = decontaminate.decontaminate(_identified(docs), table(spark, sf_dir, "benchmark"), id_col="id").where(~decontaminate.contaminated())
-    return _keep(docs, found.select(F.col("id.doc_id").alias("rid"), F.col("id.tk").alias("tk")), F.lit(True))
+    found = decontaminate.decontaminate(_identified(docs), table(spark, sf_dir, "benchmark"), id_col="id")
+    return _unpacked(_keep(docs, found.where(~decontaminate.contaminated())), docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded bytes."""
     ship(spark)
-    return bpe.encode(docs, with_ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe.encode(docs.select(docs["doc_id"], docs["text"]), with_ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [
