@@ -68,7 +68,7 @@ def test_large_populations_are_drawn_like_small_ones():
 
 def test_matrix_has_exact_sums():
     before = np.array([0, 5, 5, 105, 300, 301])
-    sizes = shuffle_shards.blocks(301, 8, 10)[2]
+    sizes = shuffle_shards.shard_sizes(301, 8)
     rows = np.array([shuffle_shards.matrix_row(before, sizes, p, 9) for p in range(5)])
     assert rows.sum(0).tolist() == sizes.tolist() and rows.sum(1).tolist() == np.diff(before).tolist() and rows.min() >= 0
 
@@ -76,16 +76,16 @@ def test_matrix_has_exact_sums():
 def test_all_places_are_equally_likely(spark):
     seen = collections.Counter()
     df = spark.range(6, numPartitions=3)
-    for seed in range(150):
+    for seed in range(60):
         for r in shuffle_shards.shuffle_shards(df, 2, seed, block=2).collect():
             seen[r.id, r.shard, r.slot] += 1
-    expected = 150 * 6 / 36
+    expected = 60 * 6 / 36
     chi = sum((seen[i, s, k] - expected) ** 2 / expected for i in range(6) for s in range(2) for k in range(3))
     assert len(seen) == 36 and chi < 60  # 25 degrees of freedom
 
 
 def test_shards(spark, docs, rows, nothing):
-    for block in (16384, 7):
+    for block in (16384, 7, 1):
         got = shuffle_shards.shuffle_shards(docs.drop("shard_"), 8, block=block).collect()
         assert collections.Counter((r.doc_id, r.text) for r in got) == collections.Counter((r[0], r[1]) for r in rows)
         by = collections.defaultdict(list)
@@ -94,8 +94,44 @@ def test_shards(spark, docs, rows, nothing):
         assert all(sorted(v) == list(range(len(v))) for v in by.values())
         assert max(map(len, by.values())) - min(map(len, by.values())) <= 1 and len(by) == 8
     assert shuffle_shards.shuffle_shards(nothing, 8).count() == 0
-    with pytest.raises(ValueError, match="shard"):
-        shuffle_shards.shuffle_shards(spark.range(3).withColumnRenamed("id", "shard"))
+
+
+def test_shards_of_columns_with_clashing_names(spark):
+    columns = ["shard", "SLOT_", "slot", "shard_", "pid", "at", "order", "range", "first", "c0", "n"]
+    df = spark.createDataFrame([tuple(f"{c}{i}" for c in columns) for i in range(9)], ", ".join(f"`{c}` string" for c in columns))
+    out = shuffle_shards.shuffle_shards(df, 2)
+    assert out.columns == ["shard__", "SLOT_", "slot__", "shard_", *columns[4:], "shard", "slot"]
+    got = sorted(tuple(r)[: len(columns)] for r in out.collect())
+    assert got == [tuple(f"{c}{i}" for c in columns) for i in range(9)]
+
+
+def brute_shards(places, shards, seed, block):
+    """Shard and slot of each (partition, place), by the whole matrix and whole shards at once."""
+    parts = sorted({p for p, _ in places})
+    sizes = [sum(p == q for q, _ in places) for p in parts]
+    before = np.concatenate([[0], np.cumsum(sizes)])
+    whole = shuffle_shards.shard_sizes(len(places), shards)
+    out = {}
+    for i, p in enumerate(parts):
+        row = shuffle_shards.matrix_row(before, whole, i, seed)
+        to = np.repeat(np.arange(shards), row)[np.random.default_rng([seed, i]).permutation(sizes[i])]
+        out |= {(p, k): int(t) for k, t in enumerate(to)}
+    return out
+
+
+def test_shards_equal_brute_force(spark):
+    """Every row's shard is the one its partition's permutation deals it, and a shard is in the order of its rows' hashes."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(1000, numPartitions=7).withColumn("p", F.spark_partition_id()).withColumn("k", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    df = df.withColumn("h", F.xxhash64(F.lit(11), "p", "k"))
+    for block in (16384, 50):
+        got = shuffle_shards.shuffle_shards(df, 8, seed=11, block=block).collect()
+        want = brute_shards([(r.p, r.k) for r in got], 8, 11, block)
+        assert all(want[r.p, r.k] == r.shard for r in got)
+        for s in range(8):
+            own = sorted((r.slot, r.h) for r in got if r.shard == s)
+            assert [x for x, _ in own] == list(range(len(own))) and [h for _, h in own] == sorted(h for _, h in own)
 
 
 # ---- outliers
