@@ -40,7 +40,22 @@ URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow",
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     outcomes = url_filter.matched_outcomes(pages, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return url_filter.judge(pages, outcomes, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+    return _judged(url_filter.judge(pages, outcomes, URL_RULES))
+
+
+def _judged(verdicts: DataFrame) -> DataFrame:
+    return verdicts.select("page_id", "host", "path", "rule", "verdict", F.round("rate", 6).alias("rate"), F.round("upper", 6).alias("upper"))
+
+
+#: Made outcomes that differ by host: of pages of hosts for mobile readers one in five is good, of others six in seven.
+MADE = "CASE WHEN {host} LIKE 'm.%' THEN CASE WHEN page_id % 5 = 0 THEN 1 ELSE 0 END WHEN page_id % 7 = 0 THEN 0 ELSE 1 END"
+
+
+def url_filter_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The URL filter with made outcomes: in the test tables' own ones no host is bad, here the bound decides."""
+    pages = table(spark, sf_dir, "pages")
+    outcomes = url_filter.with_site(pages).select("url", F.expr(MADE.format(host="host")).alias("good"))
+    return _judged(url_filter.judge(pages, outcomes, URL_RULES))
 
 
 def op7_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +91,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_shuffle_shards": op8_shuffle_shards,
     "op9_byte_cnn": op9_byte_cnn,
     "op10_substring_dedup": op10_substring_dedup,
+    "url_filter_case": url_filter_case,
 }
 
 #: DuckDB SQL where SQL can express the whole operator and stays fast on whole tables.
-ORACLES: dict[str, str] = {"op6_url_filter": url_sql(URL_RULES)}
+ORACLES: dict[str, str] = {
+    "op6_url_filter": url_sql(URL_RULES),
+    "url_filter_case": url_sql(URL_RULES, f"SELECT *, {MADE.format(host='host')} AS good FROM dom"),
+}

@@ -3,7 +3,9 @@
 Labelled outcomes of pages (good or not) are counted for each host and shrunk by beta-binomial priors: a suffix's rate
 towards the rate of all, a registered domain's towards its suffix's, a host's towards its domain's. How strongly is
 estimated at each level from the spread of rates around their parents' (method of moments). A host is blocked if even the
-upper bound of its posterior rate lies below ``LEAST_RATE``; a host without outcomes has its domain's posterior mean.
+upper bound of its posterior rate lies below the level at which a good page's odds are a ``WORSE``-th of those of all pages,
+so what is blocked is credibly worse than the rest, in crawls of many good pages as in those of few; a host without outcomes
+has its domain's posterior mean.
 
 Counts are pre-aggregated, so a host with a third of all pages is one row after the first stage. The hosts' table is
 broadcast while its counted size allows, else joined by a shuffle whose skewed keys the planner splits.
@@ -17,10 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessel.sources.store import stash
+from tessel.sources.store import discard, stash
 
-#: Rates below this at the posterior's upper bound are blocked; standard deviations from mean to bound.
-LEAST_RATE, BOUND = 0.5, 1.96
+#: How many times worse than all pages' odds a blocked host's are at least; standard deviations from mean to bound.
+WORSE, BOUND = 2.0, 1.96
 #: Least and greatest strength of a prior, in pages.
 WEAK, STRONG = 2.0, 500.0
 #: Hosts (some 100 bytes each) that may be broadcast.
@@ -92,7 +94,7 @@ def _strength(children: DataFrame, rate: str) -> DataFrame:
 
 
 def reputations(outcomes: DataFrame, hosts: DataFrame) -> DataFrame:
-    """From outcomes (host, good 0/1) and all hosts (host, domain, suffix): host, rate, upper.
+    """From outcomes (host, good 0/1) and all hosts (host, domain, suffix): host, rate, upper, and the rate of all (p_all).
 
     Each level's strength is one number, so these three are collected.
     """
@@ -110,10 +112,12 @@ def reputations(outcomes: DataFrame, hosts: DataFrame) -> DataFrame:
     a, b = k * F.col(rate) + F.col("s"), k * (1 - F.col(rate)) + F.col("n") - F.col("s")
     mean = a / (a + b)
     sd = F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    return level.select("host", mean.alias("rate"), F.least(mean + BOUND * sd, F.lit(1.0)).alias("upper"))
+    out = stash(level.select("host", mean.alias("rate"), F.least(mean + BOUND * sd, F.lit(1.0)).alias("upper"), "p_all"), "reputations")
+    discard(base)
+    return out
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", least_rate: float = LEAST_RATE) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", worse: float = WORSE) -> DataFrame:
     """One row for each page: id, host, path, rule, verdict, rate and upper bound of its host.
 
     outcomes: (url, good) with good 1, 0 or null.
@@ -122,9 +126,10 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], id_col: str
     sites = with_site(pages.select(F.col(id_col).alias("rid"), F.col(url_col).cast("string").alias("url")))
     known = with_site(outcomes.select(F.col("url").cast("string").alias("url"), F.col("good").cast("int").alias("good")))
     hosts = sites.select("host", "domain", "suffix").union(known.select("host", "domain", "suffix")).distinct()
-    table = stash(reputations(known.select("host", "good"), hosts), "reputations")
+    table = reputations(known.select("host", "good"), hosts)
     table = F.broadcast(table) if table.count() <= MOST_BROADCAST else table
-    by_rate = F.when(F.col("upper") < least_rate, F.lit("block")).otherwise(F.lit("allow"))
+    level = F.col("p_all") / (F.col("p_all") + worse * (1 - F.col("p_all")))
+    by_rate = F.when(F.col("upper") < level, F.lit("block")).otherwise(F.lit("allow"))
     return sites.join(table, "host").select(F.col("rid").alias(id_col), "host", "path", name.alias("rule"), F.coalesce(fixed, by_rate).alias("verdict"), "rate", "upper")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessel.llm.url_filter import BOUND, LEAST_RATE, STRONG, WEAK, Rule
+from tessel.llm.url_filter import BOUND, STRONG, WEAK, WORSE, Rule
 
 
 def _strength(t: str) -> str:
@@ -10,8 +10,12 @@ def _strength(t: str) -> str:
   FROM (SELECT sum(n * (s / n - p) * (s / n - p) - p * (1 - p)) AS over_, sum(p * (1 - p) * (n - 1)) AS room FROM {t} WHERE n > 0))"""
 
 
-def url_sql(rules: list[Rule]) -> str:
-    """Outcomes by matching texts, counts, shrinking from all to suffix, domain and host, then rules."""
+#: Each page with its outcome: the label of the documents whose letters it has.
+MATCHED = "SELECT dom.*, good FROM dom LEFT JOIN good USING (digest)"
+
+
+def url_sql(rules: list[Rule], seen: str = MATCHED) -> str:
+    """Outcomes (by default by matching texts), counts, shrinking from all to suffix, domain and host, then rules."""
     values = ", ".join(f"({i}, '{verdict}', '{host}', '{path}')" for i, (verdict, host, path) in enumerate(rules))
     letters = r"'[^\p{L}\p{N}]+'"
     two = r"regexp_extract(bare, '((?:ac|co|com|edu|gov|net|org)\.[a-z]{2})$', 1)"
@@ -25,14 +29,15 @@ site AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?:/
 bared AS (SELECT *, regexp_replace(host, '^.*@|:[0-9]*$|\.$', '', 'g') AS bare FROM site),
 suf AS (SELECT *, CASE WHEN {two} NOT IN ('', bare) THEN {two} ELSE regexp_extract(bare, '([^.]*)$', 1) END AS suffix FROM bared),
 dom AS (SELECT *, CASE WHEN {label} = '' THEN bare ELSE {label} || '.' || suffix END AS domain FROM suf),
-h AS (SELECT host, any_value(domain) AS domain, any_value(suffix) AS suffix, coalesce(sum(good), 0)::DOUBLE AS s, count(good)::DOUBLE AS n FROM dom LEFT JOIN good USING (digest) GROUP BY 1),
+seen AS ({seen}),
+h AS (SELECT host, any_value(domain) AS domain, any_value(suffix) AS suffix, coalesce(sum(good), 0)::DOUBLE AS s, count(good)::DOUBLE AS n FROM seen GROUP BY 1),
 g AS (SELECT (sum(s) + 1) / (sum(n) + 2) AS p FROM h),
 s1 AS (SELECT suffix, sum(s) AS s, sum(n) AS n, max(g.p) AS p FROM h CROSS JOIN g GROUP BY 1), k1 AS ({_strength("s1")}), ps AS (SELECT suffix, (k * p + s) / (k + n) AS p FROM s1 CROSS JOIN k1),
 d1 AS (SELECT domain, sum(s) AS s, sum(n) AS n, max(p) AS p FROM h JOIN ps USING (suffix) GROUP BY 1), k2 AS ({_strength("d1")}), pd AS (SELECT domain, (k * p + s) / (k + n) AS p FROM d1 CROSS JOIN k2),
 h1 AS (SELECT host, s, n, p FROM h JOIN pd USING (domain)), k3 AS ({_strength("h1")}), ab AS (SELECT host, k * p + s AS a, k * (1 - p) + n - s AS b FROM h1 CROSS JOIN k3),
-bound AS (SELECT host, least(a / (a + b) + {BOUND} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 1.0) AS upper FROM ab),
+bound AS (SELECT host, a / (a + b) AS rate, least(a / (a + b) + {BOUND} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 1.0) AS upper, p / (p + {WORSE} * (1 - p)) AS level FROM ab CROSS JOIN g),
 rules AS (SELECT * FROM (VALUES {values}) r(i, what, rhost, rpath)),
 fit AS (SELECT page_id, rhost || rpath AS rule, what, row_number() OVER (PARTITION BY page_id ORDER BY length(rhost || rpath) DESC, i) AS rn
   FROM dom JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
-SELECT dom.page_id, dom.host, path, rule, coalesce(what, CASE WHEN upper < {LEAST_RATE} THEN 'block' ELSE 'allow' END) AS verdict
+SELECT dom.page_id, dom.host, path, rule, coalesce(what, CASE WHEN upper < level THEN 'block' ELSE 'allow' END) AS verdict, round(rate, 6) AS rate, round(upper, 6) AS upper
 FROM dom JOIN bound ON bound.host = dom.host LEFT JOIN fit ON fit.page_id = dom.page_id AND rn = 1"""

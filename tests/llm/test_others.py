@@ -305,6 +305,56 @@ def test_urls(spark):
     assert url_filter.judge(pages, outcomes.where("false"), RULES).where("verdict is null").count() == 0
 
 
+def brute_reputation(counts):
+    """(rate, upper) of each host by plain loops. counts: host to (suffix, domain, good, all)."""
+
+    def strength(rows):  # (good, all, parent's rate)
+        over = sum(n * (s / n - p) ** 2 - p * (1 - p) for s, n, p in rows if n)
+        room = sum(p * (1 - p) * (n - 1) for s, n, p in rows if n)
+        rho = over / room if room > 0 else 0.0
+        rho = min(max(rho, 1 / (url_filter.STRONG + 1)), 1 / (url_filter.WEAK + 1))
+        return (1 - rho) / rho
+
+    s0, n0 = sum(x[2] for x in counts.values()), sum(x[3] for x in counts.values())
+    p0 = (s0 + 1) / (n0 + 2)
+    parent = dict.fromkeys(counts, p0)
+    for unit in (0, 1):
+        groups = collections.defaultdict(lambda: [0, 0, 0.0])
+        for h, x in counts.items():
+            g = groups[x[unit]]
+            g[0], g[1], g[2] = g[0] + x[2], g[1] + x[3], parent[h]
+        k = strength(list(map(tuple, groups.values())))
+        parent = {h: (k * groups[x[unit]][2] + groups[x[unit]][0]) / (k + groups[x[unit]][1]) for h, x in counts.items()}
+    k = strength([(x[2], x[3], parent[h]) for h, x in counts.items()])
+    out = {}
+    for h, x in counts.items():
+        a, b = k * parent[h] + x[2], k * (1 - parent[h]) + x[3] - x[2]
+        out[h] = (a / (a + b), min(1.0, a / (a + b) + url_filter.BOUND * math.sqrt(a * b / ((a + b) ** 2 * (a + b + 1)))))
+    return out, p0
+
+
+def test_reputations_equal_brute_force_and_decide(spark):
+    rng = random.Random(4)
+    hosts = {f"h{i}.d{i % 9}.{('com', 'org', 'net')[i % 3]}": (0.15 if i % 11 == 0 else 0.9) for i in range(60)} | {"unseen.d1.org": None}
+    outcomes = [(f"http://{h}/{j}", int(rng.random() < p)) for h, p in hosts.items() if p is not None for j in range(rng.randint(1, 60))]
+    counts = {h: (h.split(".")[2], ".".join(h.split(".")[1:]), sum(g for u, g in outcomes if f"//{h}/" in u), sum(f"//{h}/" in u for u, _ in outcomes)) for h in hosts}
+    want, p0 = brute_reputation(counts)
+    pages = spark.createDataFrame([(i, f"http://{h}/x") for i, h in enumerate(hosts)], "page_id long, url string")
+    got = {r.host: r for r in url_filter.judge(pages, spark.createDataFrame(outcomes, "url string, good int"), []).collect()}
+    level = p0 / (p0 + url_filter.WORSE * (1 - p0))
+    for h, (rate, upper) in want.items():
+        assert abs(got[h].rate - rate) < 1e-9 and abs(got[h].upper - upper) < 1e-9
+        assert got[h].verdict == ("block" if upper < level else "allow")
+    assert 1 < sum(r.verdict == "block" for r in got.values()) < 8
+
+
+def test_ties_among_rules_go_to_the_first(spark):
+    rules = [("block", "a.com", "/x"), ("allow", "com", "/xyzzy"), ("allow", "a.com", "/x")]
+    pages = spark.createDataFrame([(1, "http://a.com/xyzzy"), (2, "http://a.com/x"), (3, "http://b.com/xyzzy"), (4, "http://b.com/")], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(pages, spark.createDataFrame([], "url string, good int"), rules).collect()}
+    assert got == {1: ("com/xyzzy", "allow"), 2: ("a.com/x", "block"), 3: ("com/xyzzy", "allow"), 4: (None, "allow")}
+
+
 def test_sites(spark):
     cases = {"www.a.co.uk": ("a.co.uk", "co.uk"), "a.com": ("a.com", "com"), "x.y.b.org": ("b.org", "org"), "com": ("com", "com"), "1.2.3.4": ("1.2.3.4", "1.2.3.4"), "u@q.net:8080": ("q.net", "net"), "co.uk": ("co.uk", "uk")}
     df = spark.createDataFrame([(f"http://{h}/",) for h in cases], "url string")
