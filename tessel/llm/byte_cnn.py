@@ -4,8 +4,8 @@ A text's bytes are cut into chunks that cover all of it; filters of ``WIDTH`` by
 overlap. Each position has the learned vectors of the next bytes and one more channel, how well the bytes there repeat
 what stood 2 to ``LAGS`` bytes earlier (filters of fixed width can't see that a word follows itself). Each filter's
 largest answer in a chunk is kept, a linear layer makes of these a chunk's log-odds, and their mean over all chunks is the
-text's. Everything is learned here, from at most ``SAMPLE`` labelled rows of each label, a window of ``SAMPLE_CHARS``
-characters of each; scores read whole texts.
+text's. Everything is learned here, from the whole texts of at most ``SAMPLE`` labelled rows of each label (a parameter of
+``fit``); scores read whole texts too.
 
 Defined cases: a null or empty text is one chunk of padding and gets a score like any other; a null id counts as held
 out; null labels and labels of unknown rows are not learned from; equal rows get equal scores; with no row of one label
@@ -26,7 +26,7 @@ from tessel.llm import kernel as K
 from tessel.llm.common import rows_by
 
 CHUNK, WIDTH, FILTERS, VECTOR, LAGS, RUN = 256, 6, 16, 8, 20, 12
-SAMPLE, SAMPLE_CHARS, EPOCHS, LEAST_STEPS, BATCH, RATE = 2000, 2048, 10, 500, 64, 0.01
+SAMPLE, EPOCHS, LEAST_STEPS, BATCH, RATE = 2000, 10, 500, 64, 0.01
 THRESHOLD = 0.3
 
 
@@ -161,11 +161,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = known.where(~held_out("lid"))
     order = [F.xxhash64(F.col("lid").cast("string")), F.col("lid"), F.col("label")]
     picked = known.where("label = 1").orderBy(*order).limit(sample).union(known.where("label = 0").orderBy(*order).limit(sample))
-    n = F.length("txt")
-    start = F.pmod(F.xxhash64("rid"), F.greatest(n - SAMPLE_CHARS, F.lit(1))).cast("int") + 1
-    window = F.expr(f"substring(txt, at, {SAMPLE_CHARS})")
-    texts = rows_by(docs, id_col, text_col).withColumn("txt", F.coalesce("txt", F.lit(""))).withColumn("at", start)
-    rows = texts.join(F.broadcast(picked), texts["rid"] == picked["lid"]).select("rid", "label", window.alias("txt"))
+    texts = rows_by(docs, id_col, text_col).withColumn("txt", F.coalesce("txt", F.lit("")))
+    rows = texts.join(F.broadcast(picked), texts["rid"] == picked["lid"]).select("rid", "label", "txt")
     rows = rows.groupBy("rid", "label").agg(F.min("txt").alias("txt")).toPandas().sort_values(["rid", "label"], kind="stable").reset_index(drop=True)
     share = float(rows["label"].mean()) if len(rows) else 0.5
     if not len(rows) or not 0 < share < 1:

@@ -151,6 +151,73 @@ def test_counts_equal_brute_force(spark, docs, rows, nothing):
     assert outliers.judge(nothing).count() == 0
 
 
+def plain_mcd(x):
+    """The estimate of one group by plain numpy: the same starts, exact shares, steps until the determinant stands still."""
+    floor, n = np.diag([f * f for f in outliers.FLOOR.values()]), len(x)
+    h = math.ceil(outliers.SHARE * n)
+    lo, mid, hi = (np.quantile(x, q, axis=0) for q in (0.25, 0.5, 0.75))
+    starts = [(mid, floor), (mid, np.diag(((hi - lo) / 1.349) ** 2) + floor), (x.mean(0), np.cov(x.T, bias=True) + floor)]
+    found = []
+    for m, c in starts:
+        det = math.inf
+        while True:
+            d2 = np.einsum("ni,ij,nj->n", x - m, np.linalg.inv(c), x - m)
+            near = x[np.argsort(d2, kind="stable")[:h]]
+            m, c = near.mean(0), np.cov(near.T, bias=True) * outliers.consistency(outliers.SHARE) + floor
+            old, det = det, np.linalg.det(c)
+            if not det < old * (1 - 1e-9):
+                break
+        found.append((det, m, c))
+    return min(found, key=lambda f: f[0])
+
+
+def test_estimates_equal_plain_ones(spark):
+    """Groups with a cloud of outliers apart, which a start from all rows is drawn to."""
+    rng = np.random.default_rng(3)
+    groups = {}
+    for g in range(4):
+        mix = rng.normal(size=(4, 4)) * 0.2
+        x = rng.normal(size=(600, 4)) @ mix + rng.uniform(0.5, 2, 4)
+        x[: 60 * g] = rng.normal(size=(60 * g, 4)) * 0.05 + 6
+        groups[f"g{g}"] = x
+    rows = spark.createDataFrame([(k, *map(float, r)) for k, x in groups.items() for r in x], "key string, x0 double, x1 double, x2 double, x3 double").repartition(5)
+    for r in outliers.determinants(rows).collect():
+        det, m, c = plain_mcd(groups[r.key])
+        low = np.array([[r[f"l_{i}{j}"] if j <= i else 0.0 for j in range(4)] for i in range(4)])
+        # A bin's edge may hold a few rows more than the exact share.
+        assert abs(r.det / det - 1) < 0.05
+        assert np.abs(np.array([r[f"m_{i}"] for i in range(4)]) - m).max() < 0.02 * math.sqrt(np.trace(c))
+        assert np.abs(low @ low.T - c).max() < 0.02 * np.trace(c)
+
+
+def test_verdicts_equal_plain_ones(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
+    rows = []
+    for i in range(900):
+        w = [word() for _ in range(rng.randint(60, 150))]
+        for _ in range(int(rng.expovariate(0.3))):
+            w[rng.randrange(len(w))] += rng.choice("#*$%")
+        w = [x + "###" for x in w] if i % 50 < 2 else w
+        rows.append((i, "\n".join(" ".join(w[k : k + 9]) for k in range(0, len(w), 9)), "en", f"s{i % 3}"))
+    got = outliers.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    vector = lambda r: (math.log(max(r.word_chars / r.n_words, 0.1)), math.sqrt(r.n_symbols / max(r.word_chars, 1)), 0.0, math.sqrt(r.n_repeat_words / r.n_words))
+    assert not any(r.n_dup_lines for r in got)
+    for g in range(3):
+        own = [r for r in got if r.doc_id % 3 == g and not r.base_failed]
+        x = np.array([vector(r) for r in own])
+        _, m, c = plain_mcd(x)
+        d2 = np.einsum("ni,ij,nj->n", x - m, np.linalg.inv(c), x - m)
+        # Ends of steps from other starts may lie close to the least one, so distances near the cutoff are left open.
+        assert all(r.kept == (d <= outliers.CUTOFF) for r, d in zip(own, d2, strict=True) if abs(d / outliers.CUTOFF - 1) > 0.3)
+        assert sum(r.distance <= outliers.CUTOFF for r in own) == sum(r.kept for r in own)
+        assert any(r.kept for r in own) and not all(r.kept for r in own)
+
+
+def test_estimates_of_nothing(spark):
+    assert outliers.determinants(spark.createDataFrame([], "key string, x0 double, x1 double, x2 double, x3 double")).count() == 0
+
+
 def test_junk_is_rejected_and_prose_kept(spark):
     rng = random.Random(2)
     prose = lambda n: " ".join(rng.choice(["alpha", "to", "of", "river", "mountain", "the", "is", "running", "x"]) + rng.choice(["", "s", "ing", "ed", "er"]) for _ in range(n))
@@ -183,8 +250,15 @@ def test_consistency_factor():
 
 
 def test_outliers_plan_is_native(spark, docs):
-    plan = outliers.with_counts(docs.select("doc_id", "text"))._jdf.queryExecution().toString()
-    assert not re.search("Python|Arrow|Pandas", plan)
+    seen = []
+    keep, outliers_stash = outliers.stash, lambda df, name: seen.append(df) or keep(df, name)
+    outliers.stash = outliers_stash
+    try:
+        seen.append(outliers.judge(docs))
+    finally:
+        outliers.stash = keep
+    assert len(seen) > 6
+    assert not any(re.search("Python|Arrow|Pandas", df._jdf.queryExecution().toString()) for df in seen)
 
 
 # ---- classifier
