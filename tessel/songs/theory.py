@@ -12,7 +12,9 @@ MINOR_TONICS = ["C", "C#", "D", "Eb", "E", "F", "F#", "G", "G#", "A", "Bb", "B"]
 FIFTHS = "FCGDAEB"
 SCALE_STEPS = {"major": [0, 2, 4, 5, 7, 9, 11], "minor": [0, 2, 3, 5, 7, 8, 10, 11]}
 
-_KEY = r"^\s*([A-Ga-g])([#b]?)\s*(major|minor|maj|min|m|)\s*$"
+# What a key's mode may be called behind its tonic.
+MODES = {"": "major", "major": "major", "maj": "major", "minor": "minor", "min": "minor", "m": "minor"}
+SPACES = " \t\n\x0b\f\r"
 
 
 def pitch_of(name: str) -> int:
@@ -38,14 +40,32 @@ def key_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(key_rows(), "key string, tonic int, mode string, fifths int, scale array<int>")
 
 
+def preferred_key(name: str | None) -> str | None:
+    """Preferred spelling of a key's name, such as ``Db major`` for ``C# major``; null if it is none.
+
+    A name is a letter, a sign perhaps, and one of the words for a mode.
+    """
+    text = (name or "").strip()
+    letter, rest = text[:1].upper(), text[1:]
+    shift = {"#": 1, "b": -1}.get(rest[:1], 0)
+    mode = MODES.get(rest[abs(shift) :].strip())
+    if letter not in NATURAL or mode is None:
+        return None
+    tonics = MINOR_TONICS if mode == "minor" else MAJOR_TONICS
+    return f"{tonics[(NATURAL[letter] + shift) % 12]} {mode}"
+
+
 def canonical_key(key: Column) -> Column:
-    """Preferred spelling of a key's name, such as ``Db major`` for ``C# major``; null if it is none."""
-    letter, sign, kind = F.upper(F.regexp_extract(key, _KEY, 1)), F.regexp_extract(key, _KEY, 2), F.regexp_extract(key, _KEY, 3)
-    base = F.create_map(*[F.lit(x) for pair in NATURAL.items() for x in pair])[letter]
-    pc = F.pmod(base + F.when(sign == "#", 1).when(sign == "b", -1).otherwise(0), F.lit(12))
+    """``preferred_key`` of a column."""
+    text = F.btrim(key, F.lit(SPACES))
+    letter, second = F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 1)
+    shift = F.when(second == "#", 1).when(second == "b", -1).otherwise(0)
+    table = lambda d: F.create_map(*[F.lit(x) for pair in d.items() for x in pair])
+    rest = F.btrim(F.when(shift == 0, F.substr(text, F.lit(2))).otherwise(F.substr(text, F.lit(3))), F.lit(SPACES))
+    mode, base = F.element_at(table(MODES), rest), F.element_at(table(NATURAL), letter)
+    pc = F.pmod(base + shift, F.lit(12))
     tonics = lambda names: F.get(F.array(*map(F.lit, names)), pc)
-    minor = kind.isin("minor", "min", "m")
-    return F.when(key.rlike(_KEY), F.when(minor, F.concat(tonics(MINOR_TONICS), F.lit(" minor"))).otherwise(F.concat(tonics(MAJOR_TONICS), F.lit(" major"))))
+    return F.concat(F.when(mode == "minor", tonics(MINOR_TONICS)).otherwise(tonics(MAJOR_TONICS)), F.lit(" "), mode)
 
 
 def spell(midi: int, key_fifths: int) -> tuple[str, int, int]:
