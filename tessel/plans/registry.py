@@ -41,4 +41,4 @@ def oracles() -> dict[str, str]:
 
 def _load() -> None:
     """Import the modules that register queries."""
-    from tessel.plans import evaluation, leakage, relational, sequences  # noqa: F401
+    from tessel.plans import evaluation, leakage, relational, sequences, songs  # noqa: F401
