@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.plans.registry import register
-from tessel.songs import lead_sheet, made, metrics, model, notation, prompts, sequential
+from tessel.songs import flags, lead_sheet, made, metrics, model, notation, prompts, sequential
 
 # The made songs in SQL: n0, n1 and n have the notes, g the songs, b the bars, s the sections, c the chords.
 _NOTES = f"""n0 AS (SELECT l_orderkey AS k, l_suppkey % 5 AS kind, 1 + l_partkey % 8 AS duration, l_suppkey % 4 AS gap, 55 + (l_partkey * 7 + l_linenumber) % 24 AS pitch,
@@ -109,6 +109,30 @@ def song_tonality(spark: SparkSession, d: str) -> DataFrame:
     return metrics.tonality(made.songs(spark, d)).select("song_id", *[F.round(c, 6).alias(c) for c in ("melody_in_key_frac", "chord_root_in_key_frac")])
 
 
+_FLAGS = f"""{_SONGS}, scale(i, inside) AS (VALUES (0, [0, 2, 4, 5, 7, 9, 11]), (1, [7, 9, 11, 0, 2, 4, 6]), (2, [9, 11, 0, 2, 4, 5, 7, 8]), (3, [4, 6, 7, 9, 11, 0, 2, 3])),
+tone(symbol, root, tones) AS (VALUES ('C', 0, [0, 4, 7]), ('G', 7, [7, 11, 2]), ('Am', 9, [9, 0, 4]), ('F', 5, [5, 9, 0])),
+m AS (SELECT n.song_id, count(*) AS notes, CAST(sum(words) AS BIGINT) AS syllables, round(count_if(words > 1) / count(*), 4) AS multi, round(count_if(words = 0 AND NOT melisma) / count(*), 4) AS wordless,
+    max(pitch) - min(pitch) AS pitch_range, round(sum(CASE WHEN list_contains(inside, pitch % 12) THEN duration ELSE 0 END) / sum(duration), 4) AS in_key,
+    round(sum(CASE WHEN list_contains(tones, pitch % 12) THEN duration ELSE 0 END) / sum(duration), 4) AS in_chord
+    FROM n JOIN scale ON i = k % 4 JOIN c ON c.song_id = n.song_id AND onset >= a AND onset < z JOIN tone USING (symbol) GROUP BY n.song_id),
+h AS (SELECT c.song_id, round(sum(CASE WHEN list_contains(inside, root) THEN z - a ELSE 0 END) / sum(z - a), 4) AS roots FROM c JOIN g USING (song_id) JOIN scale ON i = k % 4 JOIN tone USING (symbol) GROUP BY c.song_id),
+flags AS (SELECT song_id, CAST(half <= 1 AS INT) + CAST(bars - half <= 1 AS INT) AS tiny_sections, CAST(half > 32 AS INT) + CAST(bars - half > 32 AS INT) AS long_sections, 60 + k % 100 AS tempo_bpm,
+    false AS double_time_suspect, false AS half_time_suspect, round((bars // 5) / bars, 4) AS irregular_bar_frac, in_key AS melody_in_key_frac, roots AS chord_root_in_key_frac, CAST(NULL AS VARCHAR) AS key_agreement,
+    round(notes / bars, 3) AS notes_per_bar, multi AS multi_syllable_note_frac, wordless AS wordless_note_frac, syllables, in_chord AS chord_tone_frac, pitch_range, 2 AS sections, bars FROM g JOIN m USING (song_id) JOIN h USING (song_id))"""
+
+
+@register("song_pathology_flags", "G5", f"WITH {_FLAGS} SELECT * FROM flags")
+def song_pathology_flags(spark: SparkSession, d: str) -> DataFrame:
+    return flags.pathology_flags(made.songs(spark, d))
+
+
+@register("song_pathology_reasons", "F1", f"""WITH {_FLAGS} SELECT song_id, concat_ws(';', CASE WHEN long_sections > 0 THEN 'section_over_32_bars' END, CASE WHEN irregular_bar_frac > 0.25 THEN 'irregular_bars_over_25pct' END,
+    CASE WHEN melody_in_key_frac < 0.7 THEN 'melody_in_key_under_70pct' END, CASE WHEN multi_syllable_note_frac > 0.1 THEN 'aligner_cramming_over_10pct' END,
+    CASE WHEN notes_per_bar < 1 OR notes_per_bar > 9 THEN 'implausible_note_density' END, CASE WHEN pitch_range > 36 THEN 'pitch_range_over_3_octaves' END) AS reasons FROM flags""")
+def song_pathology_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return flags.pathology_reasons(flags.pathology_flags(made.songs(spark, d))).select("song_id", F.array_join("reasons", ";").alias("reasons"))
+
+
 @register("song_problems", "F7", f"WITH {_SONGS} SELECT song_id, CASE WHEN count_if(words > 0) = 0 THEN 'no lyrics' ELSE '' END AS problems FROM n GROUP BY song_id")
 def song_problems(spark: SparkSession, d: str) -> DataFrame:
     return model.renderable_problems(made.songs(spark, d)).select("song_id", F.array_join("problems", "; ").alias("problems"))
