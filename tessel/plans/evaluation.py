@@ -345,7 +345,6 @@ def length_bucket_packing(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---- sequence functions
-_TURNS = """t AS (SELECT conv_id, turn, list_slice(list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> ''), 1, 40) AS w, lead(list_slice(list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> ''), 1, 40)) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS v FROM conversations)"""
 
 
 @register("lcs_recall_precision", "LCS A7", None)
